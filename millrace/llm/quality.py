@@ -27,7 +27,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 BUCKETS = 1 << 13  # for words; as many again for pairs
 WINDOW = 8
-THRESHOLD = -0.4
+THRESHOLD = -0.12
 MICRO = 1_000_000
 TRUSTED_ROWS = 50_000
 
