@@ -34,11 +34,10 @@ def cut_documents(docs: DataFrame, tokenizer: str, window: int, end_id: int) ->
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = memoryview(encode(text.as_py()) + end)
+            for doc_id, tokens in encoder(tokenizer).encode_column(batch.column(0), batch.column(1)):
+                ids = memoryview(tokens + end)
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     piece = ids[4 * start : 4 * (start + window)]

@@ -24,6 +24,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -73,11 +74,9 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, f
     end = int(end_id).to_bytes(4, "little")
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
         for b in batches:
-            for first in range(0, b.num_rows, 500):
-                part = b.slice(first, 500)
-                out = [frame(d, encode(t.as_py()) + end) for d, t in zip(part.column(0).to_pylist(), part.column(1))]
+            rows = encoder(tokenizer).encode_column(b.column(0), b.column(1))
+            while out := [frame(d, ids + end) for d, ids in islice(rows, 500)]:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     framed = dealt.sortWithinPartitions("doc_id", "text").mapInArrow(per_batch, "record binary")

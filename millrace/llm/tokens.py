@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import islice
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
 
 # A run of letters before punctuation or white space, or all up to the next white space; with the white space before it.
 CHUNK = re.compile(r"\s*[^\W\d_]+(?![^\s!-/:-@\[-^`{-~])|\s*\S+|\s+")
@@ -41,20 +43,40 @@ class CachedEncoder:
 
     def encode(self, text: str | None) -> bytes:
         """The ids of ``text`` (null: none) as bytes."""
-        if not text:
-            return b""
-        if UNSURE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        chunks = CHUNK.findall(text)
-        found = list(map(self.known.get, chunks))
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """``encode`` of each text; what none has met before is learned in one call."""
+        chunks = [[] if not t or UNSURE.search(t) else CHUNK.findall(t) for t in texts]
+        flat = list(chain.from_iterable(chunks))
+        found = list(map(self.known.get, flat))
         if None in found:
-            new = self._learn(list({c for c, x in zip(chunks, found) if x is None}))
-            found = [new[c] if x is None else x for c, x in zip(chunks, found)]
+            new = self._learn(list({c for c, x in zip(flat, found) if x is None}))
+            found = [new[c] if x is None else x for c, x in zip(flat, found)]
             self.known.update((c, ids) for c, ids in new.items() if len(c) <= 64)
             if len(self.known) > self.limit:
                 for c in list(islice(self.known, self.limit // 2)):
                     del self.known[c]
-        return b"".join(found)
+        out, at = [], 0
+        for t, own in zip(texts, chunks):
+            if t and not own:
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes())
+            else:
+                out.append(b"".join(found[at : at + len(own)]))
+            at += len(own)
+        return out
+
+    def encode_column(self, *columns: pa.Array, chars: int = 1_000_000) -> Iterator[tuple]:
+        """Rows of ``columns``, the last replaced by its ids; texts are taken together up to ``chars``."""
+        rows, size = [], 0
+        for row in zip(*columns):
+            row = [x.as_py() for x in row]
+            rows.append(row)
+            size += len(row[-1] or "")
+            if size >= chars:
+                yield from ((*r[:-1], ids) for r, ids in zip(rows, self.encode_many([r[-1] for r in rows])))
+                rows, size = [], 0
+        yield from ((*r[:-1], ids) for r, ids in zip(rows, self.encode_many([r[-1] for r in rows])))
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}
