@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import chatformat, decontam, langid, licenses, packing, quality, records, sharding, simhash, urlfilter
 from .common import shared_dir
+from .oracles import ORACLES  # noqa: F401
 
 PACK_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RECORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -93,5 +94,3 @@ QUERIES = {
     "op10_token_records": op10_token_records,
     "pipeline": pipeline,
 }
-
-ORACLES = {}
