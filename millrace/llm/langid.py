@@ -136,7 +136,8 @@ def sample_windows(docs: DataFrame, per_language: int = 400, windows_per_doc: in
     spread = F.transform(F.sequence(F.lit(0), F.lit(windows_per_doc - 1)), lambda i: F.substring(F.col("data"), (i * F.greatest(F.length("data") - WINDOW, F.lit(0)) / max(1, windows_per_doc - 1)).cast("int") + 1, F.lit(WINDOW)))
     cut = rows.select("lang", F.explode(F.array_distinct(spread)).alias("w"))
     most = 2 * per_language * windows_per_doc * len(top)  # equal hashes aside, the sample is half of this
-    return [(bytes(r["w"]), r["lang"]) for r in cut.limit(most).collect()]
+    chosen = cut.distinct().orderBy(F.xxhash64("w"), "w", "lang").limit(most)  # copies of a text count once
+    return [(bytes(r["w"]), r["lang"]) for r in chosen.collect()]
 
 
 def predict_languages(docs: DataFrame, model: Model | None, per_step: int = 128) -> DataFrame:
