@@ -13,12 +13,15 @@ import os
 import re
 from collections.abc import Iterator
 from itertools import chain, islice
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 
 # A run of letters before punctuation or white space, or all up to the next white space; with the white space before it.
 CHUNK = re.compile(r"\s*[^\W\d_]+(?![^\s!-/:-@\[-^`{-~])|\s*\S+|\s+")
+# The same for tokenizers that drop all white space.
+SOLID = re.compile(r"[^\W\d_]+(?![^\s!-/:-@\[-^`{-~])|\S+")
 # White space to Python but not to the tokenizers' regular expressions: such texts are encoded whole.
 UNSURE = re.compile(r"[\x1c-\x1f]")
 
@@ -31,6 +34,8 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # A tokenizer that lower-cases and drops white space sees the same in all spellings of a chunk.
+        self.folds = "Lowercase" in str(self.tokenizer.normalizer) and "behavior=Removed" in str(self.tokenizer.pre_tokenizer)
         self.known: dict[str, bytes] = {}
         self.limit = limit
 
@@ -41,13 +46,23 @@ class CachedEncoder:
         at = ends.tolist()
         return {c: ids[at[k] : at[k + 1]] for k, c in enumerate(chunks)}
 
+    def _chunks(self, text: str | None) -> list[str]:
+        if not text or UNSURE.search(text):
+            return []
+        if not self.folds:
+            return CHUNK.findall(text)
+        low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # A-Z only
+        # Composition comes before lower case, and a special token is told by its case: then the text is left as it is.
+        same = "<|" not in text and is_normalized("NFC", text) and is_normalized("NFC", low)
+        return SOLID.findall(low if same else text)
+
     def encode(self, text: str | None) -> bytes:
         """The ids of ``text`` (null: none) as bytes."""
         return self.encode_many([text])[0]
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """``encode`` of each text; what none has met before is learned in one call."""
-        chunks = [[] if not t or UNSURE.search(t) else CHUNK.findall(t) for t in texts]
+        chunks = [self._chunks(t) for t in texts]
         flat = list(chain.from_iterable(chunks))
         found = list(map(self.known.get, flat))
         if None in found:
@@ -59,7 +74,7 @@ class CachedEncoder:
                     del self.known[c]
         out, at = [], 0
         for t, own in zip(texts, chunks):
-            if t and not own:
+            if t and not own:  # not to be cut, or white space alone
                 out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes())
             else:
                 out.append(b"".join(found[at : at + len(own)]))
