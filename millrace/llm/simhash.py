@@ -6,7 +6,8 @@ at most ``budget`` bits agree wholly in one of ``budget`` + 1 blocks of bits, so
 the fingerprints are written, turned so that each block leads in turn, to one
 trie a turn in which the top levels have no error budget: a trie's subtrees
 below its leading block are independent groups, and whole subtrees are dealt
-out to tasks. In a task, pairs of trie nodes are walked down together, bit by
+out to tasks. A subtree too large for a task is dealt out again in the same way
+by the bits below its leading block. In a task, pairs of trie nodes are walked down together, bit by
 bit: differing bits add up, and a pair is dropped once it exceeds the budget.
 Links between different fingerprints are bounded by the trie, never by the
 square of a group of copies. Components follow from alternating large-star and
@@ -111,40 +112,86 @@ def walk_tries(keys: np.ndarray, first: np.ndarray, lead: np.ndarray, budget: in
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def blocks_of(budget: int) -> list[tuple[int, int]]:
-    """(bits to turn left, length) of each leading block."""
-    n = budget + 1
-    size = 64 // n
-    return [(k * size, size if k < budget else 64 - k * size) for k in range(n)]
-
-
-def trie_self_join(prints: DataFrame, budget: int = 2, total: int | None = None, per_task: int = 4_000) -> DataFrame:
-    """Links (a, b) between the distinct values ``fp`` that differ in at most ``budget`` bits, each once."""
-    blocks = blocks_of(budget)
-    total = prints.count() if total is None else total
-    bins = max(1, -(-total * len(blocks) // per_task))
-    turned = [F.struct(F.lit(k).alias("k"), (F.shiftrightunsigned("fp", 64 - by - size).bitwiseAND((1 << size) - 1) if by else F.shiftrightunsigned("fp", 64 - size)).alias("block")) for k, (by, size) in enumerate(blocks)]
-    dealt = prints.select("fp", F.explode(F.array(*turned)).alias("t")).select("fp", F.col("t.k").alias("k"), F.pmod(F.xxhash64("t.k", "t.block"), F.lit(bins)).alias("bin"))
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp, k = pdf["fp"].to_numpy().view(np.uint64), pdf["k"].to_numpy().astype(np.int64)
-        by = np.array([x for x, _ in blocks], dtype=np.uint64)[k]
-        sizes = np.array([x for _, x in blocks])[k]
-        keys = np.where(by > 0, (fp << by) | (fp >> ((np.uint64(64) - by) & np.uint64(63))), fp)
-        order = np.lexsort((keys, k))
-        keys, k, sizes = keys[order], k[order], sizes[order]
-        block = keys >> (64 - sizes).astype(np.uint64)
-        new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (block[1:] != block[:-1])])
-        i, j = walk_tries(keys, new, sizes[new], budget)
-        turn, a, b = k[i], fp[order][i], fp[order][j]
-        first = np.ones(len(i), dtype=bool)  # a pair that agrees in an earlier block was found there
-        for q, (left, size) in enumerate(blocks):
-            same = (((a ^ b) << np.uint64(left)) >> np.uint64(64 - size)) == 0
-            first &= ~(same & (q < turn))
-        a, b = a[first].view(np.int64), b[first].view(np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return dealt.groupBy("bin").applyInPandas(join, "a long, b long")
+def splits(budget: int, per_subtree: int) -> list[tuple[int, int]]:
+    """(bits agreed on before, bits of a block) of each dealing out, until no subtree can hold more than ``per_subtree`` prints."""
+    out, lead = [], 0
+    while (64 - lead) // (budget + 1) and (not out or 1 << (64 - lead) > per_subtree):
+        out.append((lead, (64 - lead) // (budget + 1)))
+        lead += out[-1][1]
+    return out
+
+
+def turned(keys: np.ndarray, lead: int, by: int) -> np.ndarray:
+    """``keys`` with the bits below the leading ``lead`` turned left by ``by``."""
+    if not by:
+        return keys
+    mask = (1 << (64 - lead)) - 1
+    low = keys & mask
+    return (keys ^ low) | (((low << by) | (low >> (64 - lead - by))) & mask)
+
+
+def deal(rows: DataFrame, lead: int, size: int, blocks: int) -> DataFrame:
+    """``rows`` (fp, key, path) once for each block, with that block of ``key`` turned to the front and noted in ``path``."""
+    mask = -1 if lead == 0 else (1 << (64 - lead)) - 1
+    low = F.col("key").bitwiseAND(F.lit(mask))
+
+    def turn(k: int):
+        if not k:
+            return F.col("key")
+        moved = F.shiftleft(low, k * size).bitwiseOR(F.shiftrightunsigned(low, 64 - lead - k * size)).bitwiseAND(F.lit(mask))
+        return F.col("key").bitwiseXOR(low).bitwiseOR(moved)
+
+    turns = F.array(*(F.struct(turn(k).alias("key"), (F.col("path") * blocks + k).alias("path")) for k in range(blocks)))
+    return rows.select("fp", F.explode(turns).alias("t")).select("fp", "t.key", "t.path", F.shiftrightunsigned("t.key", 64 - lead - size).alias("prefix"))
+
+
+def trie_self_join(prints: DataFrame, budget: int = 2, per_task: int = 4_000, per_subtree: int = 20_000) -> DataFrame:
+    """Links (a, b) between the distinct values ``fp`` that differ in at most ``budget`` bits, each once.
+
+    A subtree of more than ``per_subtree`` prints is dealt out again by blocks
+    of the bits below its leading ones, so no task holds a group that grows with
+    the input: the bits that are left bound it.
+    """
+    n, levels = budget + 1, splits(budget, per_subtree)
+
+    def joiner(depth: int):
+        below = sum(levels[depth - 1])
+
+        def join(pdf: pd.DataFrame) -> pd.DataFrame:
+            fp, keys, path = pdf["fp"].to_numpy().view(np.uint64), pdf["key"].to_numpy().view(np.uint64), pdf["path"].to_numpy()
+            order = np.lexsort((keys, path))
+            fp, keys, path = fp[order], keys[order], path[order]
+            prefix = keys >> np.uint64(64 - below)
+            first = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (prefix[1:] != prefix[:-1])])
+            i, j = walk_tries(keys, first, np.full(len(first), below), budget)
+            a, b, path = fp[i], fp[j], path[i]
+            x, own = a ^ b, np.ones(len(i), dtype=bool)
+            for k, (lead, size) in enumerate(levels[:depth]):  # a pair that agrees in an earlier block is found there
+                block = path // n ** (depth - 1 - k) % n
+                for q in range(n - 1):
+                    own &= ~((((x << np.uint64(lead + q * size)) >> np.uint64(64 - size)) == 0) & (q < block))
+                x = np.select([block == q for q in range(n)], [turned(x, lead, q * size) for q in range(n)])
+            a, b = a[own].view(np.int64), b[own].view(np.int64)
+            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+        return join
+
+    links, rows = None, prints.select("fp", F.col("fp").alias("key"), F.lit(0).cast("long").alias("path"))
+    for depth, (lead, size) in enumerate(levels, 1):
+        bins = max(1, -(-rows.count() * n // per_task))
+        rows, hot = deal(rows, lead, size, n), None
+        if depth < len(levels):
+            hot = durable(rows.groupBy("path", "prefix").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > per_subtree).select("path", "prefix"))
+            many = hot.count()
+            hot = None if not many else F.broadcast(hot) if many <= 100_000 else hot
+        few = rows if hot is None else rows.join(hot, ["path", "prefix"], "left_anti")
+        binned = few.select("fp", "key", "path", F.pmod(F.xxhash64("path", "prefix"), F.lit(bins)).alias("bin"))
+        found = binned.groupBy("bin").applyInPandas(joiner(depth), "a long, b long")
+        links = found if links is None else links.union(found)
+        if hot is None:
+            break
+        rows = durable(rows.join(hot, ["path", "prefix"], "left_semi").select("fp", "key", "path"))
+    return links
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -176,10 +176,12 @@ def test_trie_join_and_components(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
     keys = {int(b) ^ sum(1 << int(i) for i in rng.integers(0, 64, int(n))) for b in base for n in rng.integers(0, 4, 6)} | {0, 2**64 - 1, 1}
+    keys |= {int(base[0]) ^ sum(1 << int(i) for i in rng.integers(0, 64, int(n))) for n in rng.integers(0, 4, 200)}  # near copies of one text
     signed = [k - 2**64 if k >= 2**63 else k for k in keys]
     want = {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and ((a ^ b) % 2**64).bit_count() <= 2}
-    got = simhash.trie_self_join(spark.createDataFrame([(k,) for k in signed], "fp long"), 2, per_task=100).collect()
-    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    for per_subtree in (20_000, 40, 8):  # the smaller ones deal large subtrees out again, up to many times
+        got = simhash.trie_self_join(spark.createDataFrame([(k,) for k in signed], "fp long"), 2, per_task=100, per_subtree=per_subtree).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102)], "u long, v long")
     assert {tuple(r) for r in simhash.connected_components(chain).collect()} == {(i, 0) for i in range(41)} | {(i, 100) for i in (100, 101, 102)}
 
