@@ -108,4 +108,5 @@ def judge_quality(docs: DataFrame, weights: list[int], threshold: float = THRESH
     ))
     failed = (F.col("_q.n_words") < 20) | (100 * F.col("_q.n_repeat_words") > 30 * F.col("_q.n_words"))
     done = F.struct("_q.*", failed.alias("base_failed"), (~failed & (F.col("_q.score") >= threshold)).alias("kept"))
-    return rows.select(*docs.columns, done.alias("_quality"))
+    # Through a generator, so that a filter on the verdict is not planned below it, evaluating it once more.
+    return rows.select(*docs.columns, F.explode(F.array(done)).alias("_quality"))
