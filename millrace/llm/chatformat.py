@@ -29,6 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 # The template's control strings, and the escapes of those and of the escape character.
 OPEN, MIDDLE, CLOSE = "<s>[INST] ", " [/INST]", "</s>"
 ESCAPES = (("\\", "\\\\"), ("<s>", "\\(s>"), ("</s>", "\\(/s>"), ("[INST]", "\\{INST]"), ("[/INST]", "\\{/INST]"))
@@ -109,7 +111,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
             last, part = names[-1], numbers[-1]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(numbers, pa.int64()), formatted, pa.array(loss, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["conv_id", "part", "formatted", "loss"])
 
-    return rows.mapInArrow(per_batch, PARTS)
+    return map_batches(rows, per_batch, PARTS)
 
 
 def parse(formatted: str) -> Iterator[tuple[str, str]]:
@@ -155,4 +157,4 @@ def read_back(parts: DataFrame) -> DataFrame:
         if done:
             yield out()
 
-    return parts.mapInArrow(per_batch, DIGESTS)
+    return map_batches(parts, per_batch, DIGESTS)

@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Of the Arrow batches that go to Python and come back.
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
@@ -25,6 +28,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` over batches of about BATCH_BYTES, so that a task's memory holds few texts at once.
+
+    The size is a setting of the session, made where the session has none; a text longer than it is a batch of its own.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often the body's lambdas use it."""
     return F.transform(F.array(value), body)[0]

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_batches
+
 #: Lower-cases A-Z and turns every byte that is in no word into a space.
 TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 PART = 1 << 22
@@ -116,7 +118,7 @@ def count_shingles(docs: DataFrame, shared, sizes: list[int]) -> dict[tuple[int,
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(n[at])], ["k", "shingle", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "k long, shingle long, n long").groupBy("k", "shingle").agg(F.sum("n").alias("n")).collect()
+    rows = map_batches(docs.select("text"), count, "k long, shingle long, n long").groupBy("k", "shingle").agg(F.sum("n").alias("n")).collect()
     return {(r["k"], r["shingle"]): r["n"] for r in rows}
 
 
@@ -196,4 +198,4 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "_leak"])
 
     added = T.StructType.fromDDL("_leak struct<n_words:bigint,n_hit:bigint,n_items:bigint,items_sha256:string,contaminated:boolean>")
-    return docs.mapInArrow(mark, T.StructType([*docs.schema, *added]))
+    return map_batches(docs, mark, T.StructType([*docs.schema, *added]))

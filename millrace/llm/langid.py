@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_batches
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -167,7 +169,7 @@ def predict_languages(docs: DataFrame, model: Model | None, per_step: int = 128)
             found = pa.array([judge(t.as_py()) for t in batch.column(at)], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "_lang"])
 
-    return docs.mapInArrow(mark, T.StructType([*docs.schema, *T.StructType.fromDDL("_lang struct<lang_pred:string,score:double>")]))
+    return map_batches(docs, mark, T.StructType([*docs.schema, *T.StructType.fromDDL("_lang struct<lang_pred:string,score:double>")]))
 
 
 def fit(docs: DataFrame, **sample) -> Model | None:

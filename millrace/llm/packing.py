@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, gapless_rank
+from .common import durable, gapless_rank, map_batches
 from .tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -45,7 +45,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, window: int, end_id: int) ->
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return map_batches(docs.select("doc_id", "text"), cut, PIECES)
 
 
 def enumerate_patterns(bins: int, slack: int, present: np.ndarray) -> np.ndarray:

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import map_batches
 from .tokens import encoder
 
 INDEX = "file string, doc_id long, offset long, length long, n_tokens long, before long, ids_crc32 long"
@@ -79,7 +80,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, f
             while out := [frame(d, ids + end) for d, ids in islice(rows, 500)]:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    framed = dealt.sortWithinPartitions("doc_id", "text").mapInArrow(per_batch, "record binary")
+    framed = map_batches(dealt.sortWithinPartitions("doc_id", "text"), per_batch, "record binary")
     framed.select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
@@ -98,7 +99,7 @@ def scan_records(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(out)], [c.split()[0] for c in INDEX.split(", ")])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(per_batch, INDEX)
+    return map_batches(files.select("path", "content"), per_batch, INDEX)
 
 
 def write_index(spark: SparkSession, path: str, index_path: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, map_batches
 
 #: For a byte v, the 64-bit number whose byte k is bit k of v: adding such numbers counts eight bits at once.
 SPREAD = np.array([sum(((v >> k) & 1) << (8 * k) for k in range(8)) for v in range(256)], dtype="<u8")
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fps = [fingerprint(t.as_py(), width) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(per_batch, "doc_id long, fp long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), per_batch, "doc_id long, fp long")
 
 
 def walk_tries(keys: np.ndarray, first: np.ndarray, lead: np.ndarray, budget: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
