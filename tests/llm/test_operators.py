@@ -59,7 +59,8 @@ def test_encoder_is_exact():
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         path = public_tokenizers.path(name)
         plain, cached = Tokenizer.from_file(path), CachedEncoder(path, limit=50)
-        extra = ["x\u0301 y\u0301.", "²3 m². _a_ -b-", "it's 'tis ''s", " lead", "trail  ", "a\n\n b", "１２", "naïve—dash…", "THE the The\nthe", "<|ENDOFTEXT|> <|endoftext|>A", "H\u0331 h\u0331 I\u0307 İ ẞ ΟΔΟΣ.", "A\u030a Å", "DON'T IT'S"]
+        extra = ["x\u0301 y\u0301.", "²3 m². _a_ -b-", "it's 'tis ''s", " lead", "trail  ", "a\n\n b", "１２", "naïve—dash…", "THE the The\nthe", "<|ENDOFTEXT|> <|endoftext|>A", "H\u0331 h\u0331 I\u0307 İ ẞ ΟΔΟΣ.", "A\u030a Å", "DON'T IT'S", "İ's É'", "a\u00a0 \nb", "”  “ x", "× ÷.", "\x1c a\x1c b", "слово, слово", "a\tb\n\tc"]
+        assert [len(x) for x in cached.encode_many([None, "", " a", None, "b"])][:2] == [0, 0]
         for t in [t for t in TEXTS if t] + extra:
             assert list(np.frombuffer(cached.encode(t), "<u4")) == plain.encode(t, add_special_tokens=False).ids, t
 
