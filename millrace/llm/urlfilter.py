@@ -27,7 +27,7 @@ from .common import durable, let
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
-# Fixed values: (verdict, host, path) of the production rules, and the production block list of hosts.
+# Fixed values: (verdict, host, path) of the production rules.
 RULES = (
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
@@ -35,13 +35,10 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-LISTED = (
-    "ads-track.example.com",
-    "adult-x.example.com",
-    "casino-win.example.net",
-    "cheap-pills.example.net",
-    "free-bets.example.net",
-)
+#: The block list where none is given: every listed name under every domain of the tables' sites.
+NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+DOMAINS = ("example.com", "example.net", "example.org")
+LISTED = tuple(f"{name}.{domain}" for name in NAMES for domain in DOMAINS)
 
 
 def host_of(url: Column) -> Column:
