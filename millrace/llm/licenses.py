@@ -1,6 +1,8 @@
 """License scan: base phrases, and an exact set-similarity join with templates.
 
 Text blocks are lines, sets of words; templates are short word sets. A template
+that no line holds is looked for again where lines are wrapped: in all windows
+of |T| / threshold words of the whole text that start at one of its words. A template
 is found where a block holds at least ``threshold`` of its words. Template
 words are ordered by how many documents of the whole corpus hold them, rarest
 first. A block that meets the threshold must hold one of a template's first
@@ -107,6 +109,19 @@ def template_hits(text: Column, plan: list[tuple[str, list[str], int]]) -> Colum
     return F.flatten(F.transform(near, verified))
 
 
+def wrapped_hits(words: Column, hits: Column, plan: list[tuple[str, list[str], int]], threshold: float) -> Column:
+    """(label, share) of every template that is in no line, but in a window of the text's words wherever its lines end."""
+    tests = []
+    for label, own, need in plan:
+        t, size = strings(own), math.ceil(len(own) / threshold - 1e-9)
+        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(t, F.get(words, i)))
+        best = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(t, F.slice(words, i + 1, F.lit(size))))))
+        fits = F.when(F.arrays_overlap(words, strings(own[: len(own) - need + 1])), F.size(F.array_intersect(t, words)) >= need).otherwise(False)
+        n = F.when(fits, F.when(~F.exists(hits, lambda h: h["label"] == label), best).otherwise(0)).otherwise(0)
+        tests.append(F.struct(F.lit(label).alias("label"), let(n, lambda x: F.when(x >= need, x / float(len(own))).otherwise(0.0)).alias("share")))
+    return F.filter(F.array(*tests), lambda t: t["share"] > 0)
+
+
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``docs``, whatever its other columns, with a struct ``_license`` of places, labels and score."""
     plan = ordered(templates, document_counts(docs, templates), threshold)
@@ -116,6 +131,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     rows = docs.withColumn("_words", words_of(F.col("text")))
     rows = rows.withColumn("_base", F.when(F.arrays_overlap("_words", strings(starts)), base_places(F.col("_words"))).otherwise(none_base))
     rows = rows.withColumn("_hits", F.when(F.arrays_overlap("_words", strings(prefixes)), template_hits(F.col("text"), plan)).otherwise(none_hit))
+    rows = rows.withColumn("_hits", F.when(F.arrays_overlap("_words", strings(prefixes)), F.concat("_hits", wrapped_hits(F.col("_words"), F.col("_hits"), plan, threshold))).otherwise(none_hit))
     base = F.array_distinct(F.transform("_base", lambda b: b["label"]))
     found = F.array_distinct(F.concat(base, F.transform("_hits", lambda h: h["label"])))
     done = F.struct(
