@@ -3,23 +3,40 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Of the Arrow batches that go to Python and come back.
 BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, as in tests, a temporary one for a local master; an error for others."""
     set_to = spark.conf.get("spark.checkpoint.dir", "")
     if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         set_to = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", set_to)
     return set_to
 
 
+def free(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it while ``columns`` has a column that starts like it, in either case."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name = f"_{name}"
+    return name
+
+
+def named(columns: list[str]) -> list[Column]:
+    """``columns`` as they are, dots and blanks in their names included."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so a lost executor costs no recomputation."""
     sc = df.sparkSession.sparkContext
@@ -39,6 +56,18 @@ def map_batches(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def judged(docs: DataFrame, function, name: str, kind: str) -> DataFrame:
+    """``docs`` with a last column ``name`` of type ``kind``: ``function`` of Arrow arrays of texts. The other columns pass by their places."""
+    plain, at = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), docs.columns.index("text")
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, function(b.column(at))], [*b.schema.names, "found"])
+
+    found = map_batches(plain, per_batch, T.StructType([*plain.schema, *T.StructType.fromDDL(f"found {kind}")]))
+    return found.toDF(*docs.columns, name)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often the body's lambdas use it."""
     return F.transform(F.array(value), body)[0]

@@ -1,95 +1,151 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, the pipeline's stage.
-
-Rows with one set of shingles fold into one key. Shingles are put in one order
-for the whole corpus: last those that a sample holds several times, and before
-them by how rare their words are in the sample. Two sets of
-similarity ``threshold`` must share one of the first n - ceil(threshold * n) + 1
-shingles of either (prefix filter), whatever the order, so rows that share none
-are no candidates; the order only makes candidates few. The candidates of a
-shingle are first verified against one of them; only those that are then in
-different groups are verified pair by pair. So every pair that could join two
-groups is compared, exactly, but a group of near copies isn't squared.
+"""SimHash near-duplicates at word-shingle similarity: the trie self-join with verified links, the pipeline's stage.
+
+Rows with one set of shingles fold into one key with a SimHash of the set. Sets
+of similarity 0.8 differ in 10 bits of 64 on average and in up to 24, and so wide
+a budget prunes nothing before a trie is some 40 levels deep: one walk over the
+whole corpus would compare all pairs. So tries are dealt out by similarity first:
+a set has ``BANDS`` hashes of its smallest members (min-hashes) in one band each,
+and the sets that agree in a band form a trie of their own (for similarity 0.8,
+a pair agrees in at least one band with probability 0.9998, for 0.3 in 0.12). In
+each trie pairs of nodes are walked down together, differing bits add up, and
+pairs over the budget are dropped. What is left is verified exactly on whole
+sets, unless its two sides are connected already; so a trie of m sets gives at
+most m - 1 links, and a group of near copies isn't squared in the output.
+
+Bands with the same members are walked once. A band of more than ``per_trie``
+sets is dealt out again, in ``TURNS`` turns, by further min-hashes; what agrees
+in those too is cut into salted parts that share about ``PIVOTS`` sets, so that
+parts of one group stay connected. All sets take part, whatever a band's size.
 
 A null or empty text has no shingles; such texts are copies of each other. Sets
 are compared by 64-bit hashes of their shingles, and folded by a hash of these.
+Very long texts are hashed in parts. Repeated rows are one. Other columns,
+whatever their names, come back unchanged; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, map_batches, shared_dir
-from .simhash import connected_components
-
-#: A text is in the sample that orders shingles if its hash says so, one of so many.
-SAMPLE = 16
-#: Shingles, and words, of the sample that are told from rare ones.
-MOST_COMMON = 200_000
-#: Up to so many rows a table of keys is broadcast.
-SMALL = 500_000
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
-    """64-bit hashes of all shingles in turn; fewer words than ``width`` are one shingle."""
-    if not words:
-        return np.empty(0, "<u8")
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) > width else iter([b" ".join(words)])
-    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype="<u8")
-
-
-def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles."""
-    return np.unique(shingle_hashes(words_of(text), width))
-
-
-def text_hash() -> Column:
-    return F.xxhash64("text")
-
-
-def per_text(rows: DataFrame, function, schema: str) -> DataFrame:
-    """``function(text)``, a list of columns, for each row of ``rows`` (text), joined over a batch; the row's other column is repeated."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [function(t.as_py()) for t in b.column(0)]
-            if found:
-                columns = [np.concatenate(c) for c in zip(*found)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-    return map_batches(rows, each, schema)
-
-
-def sample_counts(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, dict[bytes, float]]:
-    """Sorted shingles that several texts of a sample hold, how many, and the logarithm of its words' counts; bounded by MOST_COMMON."""
-    sample = docs.select("text", text_hash().alias("_h")).filter(F.pmod("_h", F.lit(SAMPLE)) == 0).select("text")
-    tokens = per_text(sample, lambda t: [shingle_set(t, width).view("<i8")], "token long")
-    rows = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "token").limit(MOST_COMMON).toArrow()
-    token, n = rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    order = np.argsort(token)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen = Counter(w for t in b.column(0) for w in words_of(t.as_py()) if len(w) <= 64)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-    words = map_batches(sample, count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(MOST_COMMON).toArrow()
-    logs = {w: math.log1p(c) for w, c in zip(words.column("word").to_pylist(), words.column("n").to_pylist())}
-    return token[order], n[order], logs
+from .simhash import connected_components, majority, one_of_each, small, text_hash, walk_tries
+
+BANDS, ROWS = 16, 4
+#: Of min-hashes beyond the bands, by which a band of too many sets is dealt out again.
+TURNS, MORE = 8, 2
+PIVOTS = 20
+#: Odd multipliers, one a min-hash: each orders the shingles anew.
+ORDERS = np.random.default_rng(64).integers(0, 1 << 31, BANDS * ROWS + TURNS * MORE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Odd multipliers of a shingle's words, and of a band's min-hashes.
+PLACES = np.random.default_rng(65).integers(0, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PART = 1 << 12
+#: Bytes hashed at once.
+SEGMENT = 1 << 19
+#: Lower-cases A-Z and turns white space into blanks.
+PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
+VALUES = np.random.default_rng(66).integers(1, 1 << 62, 256, dtype=np.uint64)
+PRINTS = "doc_id long, text_hash long, key long, fp long, bands array<bigint>, turns array<bigint>"
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def powers(of: int) -> np.ndarray:
+    out = np.full(2 * SEGMENT + 1, of, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+POWERS, INVERSES = powers(BASE := 6364136223846793005), powers(pow(BASE, -1, 1 << 64))
+#: The hash of a line feed.
+END = VALUES[10]
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of ``data``, which is plain: a polynomial in a word's bytes, by running sums over many words at once."""
+    out, at = [np.empty(0, np.uint64)], 0
+    while at < len(data):
+        end = data.find(b" ", at + SEGMENT) if len(data) - at > SEGMENT else -1
+        end = end if end >= 0 else len(data)
+        if end - at > 2 * SEGMENT:  # a word longer than a segment: such words are hashed one by one
+            words = data[at:end].split()
+            long = np.array([len(w) > SEGMENT for w in words])
+            own = np.empty(len(words), np.uint64)
+            own[long] = [xxhash.xxh3_64_intdigest(w) for w in words if len(w) > SEGMENT]
+            own[~long] = word_hashes(b" ".join(w for w in words if len(w) <= SEGMENT))
+            out.append(own)
+        else:
+            part = np.frombuffer(data, np.uint8)[at:end]
+            letter = part != 32
+            edge = np.flatnonzero(np.diff(letter, prepend=False, append=False))
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(VALUES[part] * POWERS[: len(part)], out=sums[1:])
+            own = (sums[edge[1::2]] - sums[edge[::2]]) * INVERSES[edge[::2]]
+            long = np.flatnonzero(edge[1::2] - edge[::2] > SEGMENT)
+            own[long] = [xxhash.xxh3_64_intdigest(part[edge[2 * k] : edge[2 * k + 1]].tobytes()) for k in long]
+            out.append(own)
+        at = end
+    return np.concatenate(out)
+
+
+def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text with the word hashes ``words``; fewer than ``width`` are one shingle."""
+    if not len(words):
+        return np.empty(0, np.uint64)
+    width = min(width, len(words))
+    n = len(words) - width + 1
+    total = np.full(n, width, np.uint64)
+    for k in range(width):
+        total += words[k : k + n] * PLACES[k]
+    total = np.sort(mixed(total))
+    return total[np.r_[True, total[1:] != total[:-1]]]
+
+
+def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """``shingle_set`` of each text of ``column``; short ones are hashed together."""
+    group: list[bytes] = []
+
+    def done() -> Iterator[np.ndarray]:
+        # A line feed of its own, which is no word elsewhere, ends each text.
+        words = word_hashes(b" \n ".join(group))
+        ends = np.append(np.flatnonzero(words == END), len(words))
+        for k, end in enumerate(ends):
+            yield shingle_set(words[ends[k - 1] + 1 if k else 0 : end], width)
+        group.clear()
+
+    size = 0
+    for text in column:
+        group.append((text.as_py() or "").encode("utf-8", "surrogatepass").translate(PLAIN))
+        size += len(group[-1])
+        if size >= SEGMENT:
+            yield from done()
+            size = 0
+    if group:
+        yield from done()
+
+
+def min_hashes(own: np.ndarray) -> np.ndarray:
+    """The smallest member of the set in each of the orders."""
+    out, high = np.full(len(ORDERS), 0xFFFFFFFF, np.uint32), (own >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(high), PART):
+        np.minimum(out, (ORDERS[:, None] * high[at : at + PART]).min(axis=1), out=out)
+    return out
+
+
+def in_bands(hashes: np.ndarray, rows: int) -> np.ndarray:
+    """One number for each ``rows`` of the min-hashes in turn, with its place."""
+    parts = hashes.reshape(-1, rows).astype(np.uint64)
+    return mixed((parts * PLACES[:rows]).sum(axis=1, dtype=np.uint64) + np.arange(1, len(parts) + 1, dtype=np.uint64) * PLACES[-1])
 
 
 def set_key(own: np.ndarray) -> int:
@@ -97,115 +153,141 @@ def set_key(own: np.ndarray) -> int:
 
 
 def prints_of(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_hash and key, the hash of the set, of every row."""
+    """doc_id, text_hash, key (of the set), fp (its SimHash), bands and turns (its min-hashes) of every row."""
+
+    def numbers(x: list[np.ndarray]) -> pa.Array:
+        return pa.array([v.view(np.int64) for v in x], pa.list_(pa.int64()))
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.empty(0, np.uint64)
         for b in batches:
-            keys = [set_key(shingle_set(t.as_py(), width)) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64())], ["doc_id", "text_hash", "key"])
-
-    return map_batches(docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), "text"), per_batch, "doc_id long, text_hash long, key long")
+            keys, fps, bands, turns = [], [], [], []
+            for own in shingle_sets(b.column(2), width):
+                least = min_hashes(own)
+                keys.append(set_key(own))
+                fps.append(majority(own))
+                bands.append(in_bands(least[: BANDS * ROWS], ROWS) if len(own) else none)
+                turns.append(in_bands(least[BANDS * ROWS :], MORE) if len(own) else none)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(fps, pa.int64()), numbers(bands), numbers(turns)], [c.split()[0] for c in PRINTS.split(", ")])
 
-
-def prefixes_of(docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """token, key: the prefix of every row's set."""
-    shared = docs.sparkSession.sparkContext.broadcast(sample_counts(docs, width))
-
-    def prefix(text: str | None) -> list[np.ndarray]:
-        common, counts, logs = shared.value
-        words = words_of(text)
-        own, at = np.unique(shingle_hashes(words, width), return_index=True)
-        if not len(own):
-            return [np.empty(0, np.int64)] * 2
-        log = np.fromiter(map(logs.get, words, repeat(0.0)), np.float64, len(words))
-        chance = sum(log[at + k] for k in range(min(width, len(words))))  # the same sum, in the same order, wherever the shingle is
-        rank = np.zeros(len(own), np.int64)
-        if len(common):
-            place = np.minimum(np.searchsorted(common, own), len(common) - 1)
-            rank = np.where(common[place] == own, counts[place], 0)
-        first = own[np.lexsort((own, chance, rank))[: len(own) - math.ceil(threshold * len(own) - 1e-9) + 1]]
-        return [first.view("<i8"), np.full(len(first), set_key(own), np.int64)]
-
-    return per_text(docs.select("text"), prefix, "token long, key long")
-
-
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SMALL else df
+    return map_batches(docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), "text"), per_batch, PRINTS)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in the shared folder: runs of one key take next to no room there."""
+    """``df`` as Parquet in the shared folder, of which readers take the columns they need."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/neardup-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar."""
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("own").alias("own_b")), "b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(same >= threshold * (len(x) + len(y) - same) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    return map_batches(both.select("a", "b", "own_a", "own_b"), compare, "a long, b long")
+def dealt_tries(distinct: DataFrame, per_trie: int) -> DataFrame:
+    """trie, key, fp: a row for every trie of two sets or more that a set is in. ``distinct`` has one row a set."""
+    rows = distinct.select("key", "fp", F.explode("bands").alias("trie"))
+    sizes = rows.groupBy("trie").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("members")).filter("n > 1")
+    sizes = durable(sizes.groupBy("n", "members").agg(F.min("trie").alias("trie")).select("trie", "n"))
+    few = rows.join(small(sizes.filter(F.col("n") <= per_trie).select("trie")), "trie")
+    large = durable(sizes.filter(F.col("n") > per_trie).select("trie"))
+    if large.isEmpty():
+        return few
+    again = distinct.select("key", "fp", "turns", F.explode("bands").alias("trie")).join(small(large), "trie")
+    again = again.select("key", "fp", "trie", F.posexplode("turns").alias("turn", "least"))
+    again = durable(again.select(F.xxhash64("trie", "turn", "least").alias("trie"), "key", "fp"))
+    parts = again.groupBy("trie").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = again.join(parts, "trie").withColumn("parts", F.ceil(F.col("n") / per_trie))
+    own = F.array(F.pmod(F.xxhash64("key", "trie"), F.col("parts")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    again = again.withColumn("part", F.explode(F.when(F.pmod(F.xxhash64("key"), F.col("n")) < PIVOTS, every).otherwise(own)))
+    return few.unionByName(again.select(F.xxhash64("trie", "part").alias("trie"), "key", "fp"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """key, own (the set as bytes) of ``wanted`` (key, text_hash)."""
-    few = docs.select("text", text_hash().alias("text_hash")).join(small(wanted), "text_hash")
+    texts = docs.select("text", text_hash().alias("text_hash")).join(small(wanted), "text_hash")
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [shingle_set(t.as_py(), width).tobytes() for t in b.column(0)]
+            own = [x.tobytes() for x in shingle_sets(b.column(0), width)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(own, pa.binary())], ["key", "own"])
 
     # Copies of the text that stands for a key fold here; they are equal.
-    return map_batches(few.select("text", "key"), per_batch, "key long, own binary").groupBy("key").agg(F.first("own").alias("own"))
-
-
-def similar_links(docs: DataFrame, prints: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """Links (u, v) between keys, each of similarity ``threshold``, that connect all pairs of it."""
-    prefixes = stored(prefixes_of(docs, width, threshold))
-    shared = durable(prefixes.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("most")).filter("a < most").select("token", "a"))
-    rows = durable(prefixes.join(small(shared), "token").select("token", "a", "key").distinct())
-    wanted = durable(prints.join(small(durable(rows.select("key").distinct())), "key").groupBy("key").agg(F.min("text_hash").alias("text_hash")))
-    sets = stored(sets_of(docs, wanted, width))
-    tried = durable(rows.filter("key <> a").select("a", F.col("key").alias("b")).distinct())
-    links = durable(verified(tried, sets, threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # What is in one group by now needs no other link; the rest of a shingle's rows are compared pair by pair.
-    groups = durable(connected_components(links))
-    named = durable(rows.join(small(groups), rows["key"] == groups["node"], "left").select("token", "key", F.coalesce("root", "key").alias("root")))
-    mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    left = durable(named.join(small(durable(mixed)), "token"))
-    x, y = left.alias("x"), left.alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")))
-    pairs = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = verified(durable(pairs), sets, threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return links.union(durable(more))
-
-
-def keep_one(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: one with its smallest doc_id.
+    return map_batches(texts.select("text", "key"), per_batch, "key long, own binary").groupBy("key").agg(F.first("own").alias("own"))
+
+
+def near_pairs(trie: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions (i < j) of one trie that differ in at most ``budget`` bits; both arrays are sorted by trie, then fp."""
+    leaf = np.flatnonzero(np.r_[True, (trie[1:] != trie[:-1]) | (fp[1:] != fp[:-1])])  # sets of one print share a leaf
+    size = np.diff(np.append(leaf, len(fp)))
+    own = trie[leaf]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    a, b = walk_tries(fp[leaf], first, np.zeros(len(first), np.int64), budget, 1 << 18)
+    shared = np.flatnonzero(size > 1)
+    a, b = np.r_[a, shared], np.r_[b, shared]
+    n = size[a] * size[b]
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    width = np.repeat(size[b], n)
+    i, j = np.repeat(leaf[a], n) + at // width, np.repeat(leaf[b], n) + at % width
+    keep = (i < j) | np.repeat(a != b, n)
+    return np.minimum(i, j)[keep], np.maximum(i, j)[keep]
+
+
+def verified_links(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int]]:
+    """Of the candidates (i, j) those that are similar and join two groups; each set's candidates are verified in one go."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    near = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
+    i, j = i[near], j[near]
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    tokens = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(size)
+    starts = ends - size
+    root, marks = np.arange(len(sets)), np.zeros(tokens.max(initial=0) + 1, bool)
+    heads = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
+    for lo, hi in zip(heads, [*heads[1:], len(i)]):
+        x = int(i[lo])
+        ys = j[lo:hi]
+        ys = ys[root[ys] != root[x]]
+        if not len(ys):
+            continue
+        n = size[ys]
+        at = np.cumsum(n) - n
+        places = np.arange(n.sum()) + np.repeat(starts[ys] - at, n)
+        marks[tokens[starts[x] : ends[x]]] = True
+        same = np.add.reduceat(marks[tokens[places]].astype(np.int64), at)
+        marks[tokens[starts[x] : ends[x]]] = False
+        ys = ys[same >= threshold * (size[x] + n - same) - 1e-9]
+        groups, one = np.unique(root[ys], return_index=True)
+        yield from ((x, int(y)) for y in ys[one])
+        root[np.isin(root, groups)] = root[x]
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, width: int, threshold: float, budget: int, per_trie: int, per_task: int = 1_000) -> DataFrame:
+    """Links (u, v) between keys, each of similarity ``threshold``, that connect the similar pairs of all tries."""
+    one = F.min_by(F.struct("text_hash", "fp", "bands", "turns"), "text_hash")
+    distinct = stored(prints.groupBy("key").agg(one.alias("s")).select("key", "s.*"))
+    tries = durable(dealt_tries(distinct, per_trie))
+    wanted = durable(distinct.select("key", "text_hash").join(small(durable(tries.select("key").distinct())), "key"))
+    bins = max(1, -(-tries.count() // per_task))
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        trie, fp = pdf["trie"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
+        order = np.lexsort((fp, trie))
+        keys, own = pdf["key"].to_numpy()[order], pdf["own"].to_numpy()[order]
+        i, j = near_pairs(trie[order], fp[order], budget)
+        found = np.array(list(verified_links(i, j, [np.frombuffer(x, "<u8") for x in own], threshold)), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"u": keys[found[:, 0]], "v": keys[found[:, 1]]})
+
+    rows = tries.join(sets_of(docs, wanted, width), "key").withColumn("bin", F.pmod(F.xxhash64("trie"), F.lit(bins)))
+    return rows.groupBy("bin").applyInPandas(join, "u long, v long")
+
+
+def keep_one(docs: DataFrame, width: int = 5, threshold: float = 0.8, budget: int = 24, per_trie: int = 2_000) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: one with its smallest doc_id (none: last), then text hash.
 
     Groups are connected by pairs whose sets of ``width``-word shingles have a Jaccard similarity of ``threshold``.
     """
-    prints = durable(prints_of(docs, width))
-    roots = durable(connected_components(similar_links(docs, prints, width, threshold)))
-    named = prints.join(small(roots), prints["key"] == roots["node"], "left").withColumn("root", F.coalesce("root", "key"))
-    first = durable(named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.text_hash").alias("_hash")))
-    again = durable(prints.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id", "_hash"))
-
-    def match(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        return rows.join(keys, (text_hash() == keys["_hash"]) & rows["doc_id"].cast("long").eqNullSafe(keys["_id"]), how)
-
-    kept = match(docs, first, "left_semi")
-    if not again.isEmpty():  # rows that repeat id and text: one of them
-        kept = match(kept, again, "left_anti").unionByName(match(kept, again, "left_semi").dropDuplicates(["doc_id", "text"]))
-    return kept
+    prints = stored(prints_of(docs, width))
+    roots = durable(connected_components(similar_links(docs, prints, width, threshold, budget, per_trie)))
+    rows = prints.select("doc_id", "text_hash", "key")
+    found = rows.join(small(roots), rows["key"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "key").alias("root"))
+    return one_of_each(docs, found)

@@ -14,8 +14,10 @@ square of a group of copies. Components follow from alternating large-star and
 small-star steps on the links.
 
 A null or empty text has no words and fingerprint zero, linked like any other.
-Repeated rows share all they get. Rows without doc_id get their group's
-smallest doc_id, which is null if no row of the group has one.
+Very long texts are hashed in parts. Repeated rows share all they get. Rows
+without doc_id get their group's smallest doc_id, which is null if no row of the
+group has one. Other columns, whatever their names, are not read, and
+``keep_one`` returns them unchanged. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,14 +29,35 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches
+from .common import durable, free, map_batches
 
 #: For a byte v, the 64-bit number whose byte k is bit k of v: adding such numbers counts eight bits at once.
 SPREAD = np.array([sum(((v >> k) & 1) << (8 * k) for k in range(8)) for v in range(256)], dtype="<u8")
 PART = 1 << 18
+#: Up to so many rows a table of keys is broadcast.
+SMALL = 500_000
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit ``h`` (some, at most PART) have each bit."""
+    spread = SPREAD[h.view(np.uint8)].reshape(len(h), 8)
+    sums = np.add.reduceat(spread, np.arange(0, len(h), 255), axis=0)  # bytes can't overflow within 255 rows
+    return sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+
+
+def packed(bits: np.ndarray) -> int:
+    return int(np.packbits(bits, bitorder="little").view("<i8")[0])
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of hashes; 0 of none."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), PART):
+        counts += bit_counts(hashes[at : at + PART])
+    return packed(2 * counts > len(hashes))
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -50,22 +73,29 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     hashes = map(xxhash.xxh64_intdigest, shingles, repeat(seed))
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, n, PART):
-        h = np.fromiter(hashes, dtype="<u8", count=min(PART, n - at))
-        spread = SPREAD[h.view(np.uint8)].reshape(len(h), 8)
-        sums = np.add.reduceat(spread, np.arange(0, len(h), 255), axis=0)  # bytes can't overflow within 255 rows
-        counts += sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+        counts += bit_counts(np.fromiter(hashes, dtype="<u8", count=min(PART, n - at)))
+    return packed(2 * counts > n)
+
+
+def text_hash() -> Column:
+    return F.xxhash64("text")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (kept; read more than once), to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and fp of every row."""
+    """doc_id, text_hash and fp of every row."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_py(), width) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(t.as_py(), width) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), per_batch, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), "text")
+    return map_batches(rows, per_batch, "doc_id long, text_hash long, fp long")
 
 
 def walk_tries(keys: np.ndarray, first: np.ndarray, lead: np.ndarray, budget: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -194,19 +224,24 @@ def trie_self_join(prints: DataFrame, budget: int = 2, per_task: int = 4_000, pe
     return links
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """node, root of every node of ``edges`` (u, v), where root is the smallest node reachable.
 
     Large-star and small-star steps in turn, each a partial aggregate and a
     join on the node, until the edges are stars; a hub's edges are split by
     the engine's skew handling and no neighbourhood is gathered into a row.
+    ``rounds`` (they grow with the logarithm of the longest chain) that don't
+    settle are an error.
     """
     def stamp(e: DataFrame):
         return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
     e = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
-    was = stamp(e)
-    for _ in range(rounds if was[0] else 0):
+    was, settled = stamp(e), False
+    for _ in range(rounds):
+        settled = was[0] == 0
+        if settled:
+            break
         sym = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = sym.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -214,43 +249,54 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         e = durable(small.filter("u > v").distinct())
         now = stamp(e)
-        if now == was:
+        settled = now == was
+        if settled:
             break
         was = now
+    if not settled:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
-    """doc_id, fp, root (the fingerprint that names the group) and component_id of every row."""
-    prints = durable(fingerprints(docs, width))
+def grouped(prints: DataFrame, budget: int) -> DataFrame:
+    """``prints`` (kept) with root (the fingerprint that names the group) and component_id."""
     distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     links = trie_self_join(distinct.select("fp"), budget)
     roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     groups = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")
-    return prints.join(groups, "fp").select("doc_id", "fp", "root", "component_id")
+    return prints.join(groups, "fp")
 
 
-def keep_one(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
-    """``docs`` with one row of each group: one with its smallest doc_id."""
-    found = durable(near_duplicates(docs, width, budget))
-    first = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["_keep"], "left_semi")
-    # Rows that repeat a doc_id, or groups without any, are rare: only they need a row to be chosen.
-    again = durable(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_again")))
-    lone = found.filter(F.col("component_id").isNull()).select("root").distinct()
-    if not again.isEmpty():
-        twice = kept.join(again, kept["doc_id"] == again["_again"], "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(again, kept["doc_id"] == again["_again"], "left_anti").unionByName(twice)
-    if not lone.isEmpty():
-        blank = docs.filter(F.col("doc_id").isNull())
-        texts = blank.select("text").distinct()
-        marked = fingerprints(texts.select(F.xxhash64("text").alias("doc_id"), "text"), width).withColumnRenamed("doc_id", "_h")
-        pick = marked.join(named_roots(found), "fp").join(lone, "root", "left_semi").groupBy("root").agg(F.min("_h").alias("_h")).select("_h")
-        rows = blank.withColumn("_h", F.xxhash64("text")).join(pick, "_h", "left_semi").dropDuplicates(["_h"]).drop("_h")
-        kept = kept.unionByName(rows)
+def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
+    """doc_id, fp, root (the fingerprint that names the group) and component_id of every row."""
+    return grouped(durable(fingerprints(docs, width)), budget).select("doc_id", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of ``found`` (doc_id, text_hash, root; a row for each of docs).
+
+    It is the one with the smallest doc_id (rows without come last), then text hash. What goes is told by both,
+    so a doc_id under several texts loses no group; rows that repeat both are one.
+    """
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    groups = durable(found.groupBy("root").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", F.struct("best.doc_id", "best.text_hash").alias("best")))
+    mine = F.struct("doc_id", "text_hash")
+    key = free(docs.columns, "_key")
+    keys = (F.col("doc_id").alias(f"{key}_id"), F.col("text_hash").alias(f"{key}_hash"))
+    gone = found.join(small(groups), "root").filter(~mine.eqNullSafe(F.col("best"))).select(*keys).distinct()
+    again = durable(found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys))
+
+    def match(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return rows.join(keys, (text_hash() == keys[f"{key}_hash"]) & rows["doc_id"].cast("long").eqNullSafe(keys[f"{key}_id"]), how)
+
+    kept = match(docs, small(durable(gone)), "left_anti")
+    if not again.isEmpty():  # rows that repeat id and text: one of them
+        kept = match(kept, again, "left_anti").unionByName(match(kept, again, "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept
 
 
-def named_roots(found: DataFrame) -> DataFrame:
-    return found.select("fp", "root").distinct()
+def keep_one(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
+    """``docs`` with one row of each group: one with its smallest doc_id."""
+    found = durable(grouped(durable(fingerprints(docs, width)), budget).select("doc_id", "text_hash", "root"))
+    return one_of_each(docs, found)
