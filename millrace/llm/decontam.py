@@ -29,9 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import map_batches
+from .common import free, judged, map_batches
 
 #: Lower-cases A-Z and turns every byte that is in no word into a space.
 TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -168,7 +167,10 @@ def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[s
 
 
 def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, width: int = 3, block_chars: int = 2_000_000) -> DataFrame:
-    """``docs``, whatever its other columns, with ``_leak``: n_words, n_hit, n_items, items_sha256, contaminated."""
+    """``docs`` with a last column, a struct of n_words, n_hit, n_items, items_sha256, contaminated.
+
+    It is called ``_leak``, with more underscores while ``docs`` has a column that starts like it.
+    """
     sc = docs.sparkSession.sparkContext
     tables = []
     for items in item_blocks(benchmark, block_chars):
@@ -177,7 +179,6 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
             shared = sc.broadcast(index)
             tables.append((shared, sc.broadcast(prefix_tables(index, count_shingles(docs, shared, sorted(index.codes))))))
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
-    at = docs.columns.index("text")
 
     def judge(text: str | None) -> dict:
         ids = word_ids(text, tables[0][0].value.words if tables else {})
@@ -192,10 +193,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         n = int((np.cumsum(hit)[:-1] > 0).sum())
         return {"n_words": len(ids), "n_hit": n, "n_items": len(items), "items_sha256": hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), "contaminated": n > 0}
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([judge(t.as_py()) for t in batch.column(at)], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "_leak"])
+    def per_batch(texts: pa.Array) -> pa.Array:
+        return pa.array([judge(t.as_py()) for t in texts], kind)
 
-    added = T.StructType.fromDDL("_leak struct<n_words:bigint,n_hit:bigint,n_items:bigint,items_sha256:string,contaminated:boolean>")
-    return map_batches(docs, mark, T.StructType([*docs.schema, *added]))
+    return judged(docs, per_batch, free(docs.columns, "_leak"), "struct<n_words:bigint,n_hit:bigint,n_items:bigint,items_sha256:string,contaminated:boolean>")

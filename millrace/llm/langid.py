@@ -3,30 +3,31 @@
 Bytes are embedded, convolved by filters of several widths, max-pooled over a
 fixed-length window and classified by softmax. The network is trained in numpy
 on the driver, on windows of a bounded sample of labelled rows: about
-``per_language`` documents of each of the ``max_languages`` most frequent
-languages, ``windows_per_doc`` windows spread over each. It is then applied to
-all windows of every whole text, in batches; a text's probabilities are the
-means over its windows, weighted by their bytes. In inference a convolution is
+``per_language`` different texts of each language (fewer if there are more than
+``most`` / ``per_language`` languages), ``windows_per_doc`` windows spread over
+each. Every language with a text is learned, and none is dropped: more than
+``max_languages`` are an error. It is then applied to all windows of every whole
+text, in batches; a text's probabilities are the means over its windows,
+weighted by their bytes. In inference a convolution is
 a sum of table rows: embedding and filter are multiplied out for each byte.
 
 A null text, and one without a letter, is ``und`` with score 0, as is every
-text if no row has a label. Other columns are never inputs. Repeated rows get
-the same answer; an empty table gives an empty result.
+text if no row has a label. Very long texts are judged in parts of their bytes.
+Other columns are never inputs and come back unchanged, whatever their names.
+Repeated rows get the same answer; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import map_batches
+from .common import free, judged
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -125,26 +126,33 @@ def train(samples: list[tuple[bytes, str]], rounds: int = 5, batch: int = 64, ra
     return Model(languages, p["embed"], [p[f"w{w}"] for w in WIDTHS], p["bias"], p["dense"], p["offset"])
 
 
-def sample_windows(docs: DataFrame, per_language: int = 400, windows_per_doc: int = 3, max_languages: int = 64) -> list[tuple[bytes, str]]:
-    """Windows of a bounded sample of labelled rows (text, lang), chosen by a hash of the text."""
+def sample_windows(docs: DataFrame, per_language: int = 400, windows_per_doc: int = 3, max_languages: int = 2_000, most: int = 8_000) -> list[tuple[bytes, str]]:
+    """Windows of a bounded sample of labelled rows (text, lang), chosen by a hash of the text: copies are drawn together and count once."""
     rows = docs.filter("lang is not null").select("lang", F.encode("text", "UTF-8").alias("data")).filter(F.length("data") > 0)
-    top = docs.filter("lang is not null and text is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    if not top:
+    draw = F.pmod(F.xxhash64("data"), F.lit(1_000_000))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("data")).alias("n"), F.min(draw).alias("least")).limit(max_languages + 1).collect()
+    if not sizes:
         return []
-    rate = None  # the share of a language's rows that gives about per_language of them
-    for r in top:
-        rate = (F if rate is None else rate).when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["n"])))
-    rows = rows.filter(F.pmod(F.xxhash64("data"), F.lit(1_000_000)) < F.coalesce(rate, F.lit(0.0)) * 1_000_000)
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    per_language = max(4, min(per_language, most // len(sizes)))
+    # At least the text with the least hash is in a language's sample.
+    below = [(r["lang"], max(int(min(1.0, per_language / r["n"]) * 1_000_000), r["least"] + 1)) for r in sizes]
+    rates = docs.sparkSession.createDataFrame(below, "lang string, below long")
+    rows = rows.join(F.broadcast(rates), "lang").filter(draw < F.col("below"))  # at most max_languages rows
     spread = F.transform(F.sequence(F.lit(0), F.lit(windows_per_doc - 1)), lambda i: F.substring(F.col("data"), (i * F.greatest(F.length("data") - WINDOW, F.lit(0)) / max(1, windows_per_doc - 1)).cast("int") + 1, F.lit(WINDOW)))
-    cut = rows.select("lang", F.explode(F.array_distinct(spread)).alias("w"))
-    most = 2 * per_language * windows_per_doc * len(top)  # equal hashes aside, the sample is half of this
-    chosen = cut.distinct().orderBy(F.xxhash64("w"), "w", "lang").limit(most)  # copies of a text count once
-    return [(bytes(r["w"]), r["lang"]) for r in chosen.collect()]
+    cut = rows.select("lang", F.explode(F.array_distinct(spread)).alias("w")).distinct()
+    # Each language's windows in the order of their hashes; beyond twice the number aimed at, only equal hashes could bring more.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("w"), "w"))
+    chosen = cut.withColumn("k", rank).filter(F.col("k") <= 2 * per_language * windows_per_doc)
+    return [(bytes(r["w"]), r["lang"]) for r in chosen.select("w", "lang").collect()]
 
 
 def predict_languages(docs: DataFrame, model: Model | None, per_step: int = 128) -> DataFrame:
-    """``docs``, whatever its other columns, with ``_lang``: lang_pred and score."""
-    at = docs.columns.index("text")
+    """``docs`` with a last column, a struct of lang_pred and score.
+
+    It is called ``_lang``, with more underscores while ``docs`` has a column that starts like it.
+    """
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
     tables = model.tables() if model else None
 
@@ -164,12 +172,10 @@ def predict_languages(docs: DataFrame, model: Model | None, per_step: int = 128)
         best = int(p.argmax())
         return {"lang_pred": model.languages[best], "score": float(min(1.0, max(0.0, p[best])))}
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([judge(t.as_py()) for t in batch.column(at)], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "_lang"])
+    def per_batch(texts: pa.Array) -> pa.Array:
+        return pa.array([judge(t.as_py()) for t in texts], kind)
 
-    return map_batches(docs, mark, T.StructType([*docs.schema, *T.StructType.fromDDL("_lang struct<lang_pred:string,score:double>")]))
+    return judged(docs, per_batch, free(docs.columns, "_lang"), "struct<lang_pred:string,score:double>")
 
 
 def fit(docs: DataFrame, **sample) -> Model | None:

@@ -11,7 +11,8 @@ evaluation, and every document is held against the same threshold.
 Everything is per row; only bucket counts are shuffled. A null text has no
 words and fails; an empty table gives an empty result. Without any trusted row
 all weights are zero and the base rules alone decide. Repeated rows are judged
-alike. 64-bit hashes stand for words and windows.
+alike. 64-bit hashes stand for words and windows. A very long text is one row's
+arrays in memory. Other columns, whatever their names, come back unchanged.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import free, let, named
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -58,15 +59,18 @@ def repeated_lines(text: Column) -> Column:
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def with_hashes(docs: DataFrame) -> DataFrame:
-    """``docs`` with _words and the hashes of words (_h1) and pairs (_h2)."""
-    rows = docs.withColumn("_words", words_of(F.col("text")))
-    rows = rows.withColumn("_h1", F.transform("_words", lambda w: F.xxhash64(w)))
-    return rows.withColumn("_h2", joined_hashes(F.col("_h1"), 1))
+def with_hashes(docs: DataFrame, own: str) -> DataFrame:
+    """``docs`` with the words of the text and the hashes of words and pairs; ``own`` starts the names of these columns."""
+    rows = docs.withColumn(f"{own}words", words_of(F.col("text")))
+    rows = rows.withColumn(f"{own}h1", F.transform(f"{own}words", lambda w: F.xxhash64(w)))
+    return rows.withColumn(f"{own}h2", joined_hashes(F.col(f"{own}h1"), 1))
 
 
-def buckets() -> Column:
-    return F.concat(F.transform("_h1", lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")), F.transform("_h2", lambda h: (F.pmod(h, F.lit(BUCKETS)) + BUCKETS).cast("int")))
+def buckets(own: str) -> Column:
+    return F.concat(
+        F.transform(f"{own}h1", lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")),
+        F.transform(f"{own}h2", lambda h: (F.pmod(h, F.lit(BUCKETS)) + BUCKETS).cast("int")),
+    )
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) -> list[int]:
@@ -75,7 +79,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_R
     good = good.orderBy(F.xxhash64("_good"), "_good").limit(trusted_rows).withColumn("_is", F.lit(1))
     rows = docs.select("doc_id", "text")
     rows = rows.join(F.broadcast(good), rows["doc_id"] == good["_good"], "left")  # at most trusted_rows ids
-    counts = with_hashes(rows).select("_is", F.explode(buckets()).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("_is").alias("target")).collect()
+    counts = with_hashes(rows, "_").select("_is", F.explode(buckets("_")).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("_is").alias("target")).collect()
     raw, target = [0] * (2 * BUCKETS), [0] * (2 * BUCKETS)
     for r in counts:
         raw[r["b"]], target[r["b"]] = r["raw"], r["target"]
@@ -90,23 +94,29 @@ def log_ratios(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_R
 
 
 def judge_quality(docs: DataFrame, weights: list[int], threshold: float = THRESHOLD) -> DataFrame:
-    """``docs``, whatever its other columns, with a struct ``_quality`` of measures, score and verdict."""
-    rows = with_hashes(docs)
-    rows = rows.withColumn("_h8", joined_hashes(joined_hashes(F.col("_h2"), 2), 4))
+    """``docs`` with a last column: a struct of measures, score and verdict.
+
+    It is called ``_quality``, with more underscores while ``docs`` has a column that starts like it.
+    """
+    own, result = free(docs.columns, "_q_"), free(docs.columns, "_quality")
+    rows = with_hashes(docs, own)
+    rows = rows.withColumn(f"{own}h8", joined_hashes(joined_hashes(F.col(f"{own}h2"), 2), 4))
     table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")  # folded to one constant
-    total = F.aggregate(buckets(), F.lit(0).cast("long"), lambda s, b: s + F.get(table, b))
-    grams = F.size("_h1") + F.size("_h2")
+    total = F.aggregate(buckets(own), F.lit(0).cast("long"), lambda s, b: s + F.get(table, b))
+    grams = F.size(f"{own}h1") + F.size(f"{own}h2")
     text = F.coalesce("text", F.lit(""))
-    n = F.size("_words").cast("long")
-    rows = rows.withColumn("_q", F.struct(
+    n = F.size(f"{own}words").cast("long")
+    measures = f"{own}measures"
+    rows = rows.withColumn(measures, F.struct(
         n.alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join(f"{own}words", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         repeated_lines(F.col("text")).alias("n_dup_lines"),
-        repeated_words(F.col("_h8")).alias("n_repeat_words"),
+        repeated_words(F.col(f"{own}h8")).alias("n_repeat_words"),
         F.when(grams > 0, total / MICRO / grams).otherwise(F.lit(0.0)).alias("score"),
     ))
-    failed = (F.col("_q.n_words") < 20) | (100 * F.col("_q.n_repeat_words") > 30 * F.col("_q.n_words"))
-    done = F.struct("_q.*", failed.alias("base_failed"), (~failed & (F.col("_q.score") >= threshold)).alias("kept"))
+    m = F.col(measures)
+    failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+    done = F.struct(f"{measures}.*", failed.alias("base_failed"), (~failed & (m["score"] >= threshold)).alias("kept"))
     # Through a generator, so that a filter on the verdict is not planned below it, evaluating it once more.
-    return rows.select(*docs.columns, F.explode(F.array(done)).alias("_quality"))
+    return rows.select(*named(docs.columns), F.explode(F.array(done)).alias(result))
