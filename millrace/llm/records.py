@@ -15,8 +15,9 @@ line feed is the writer's row end and counts as part of the frame. The index
 the files, and a reader that shuffles seeks by it.
 
 Null texts are empty documents (the end id alone). Rows without a doc_id come
-first; rows that share one lie next to each other in the order of their texts.
-An empty table gives an empty index.
+first; rows that share one lie next to each other in the order of their texts,
+repeated rows each as a record. Very long texts are encoded whole. Other columns,
+whatever their names, are not read. An empty table gives an empty index.
 """
 
 from __future__ import annotations
@@ -68,10 +69,20 @@ def frames(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
         at += size + 17
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, files: int | None = None) -> None:
-    """Write all ``docs`` (doc_id, text) under ``path`` in ascending order of doc_id."""
+def file_count(rows: DataFrame, file_bytes: int) -> int:
+    """So many files that each holds about ``file_bytes`` of text; smaller ones where that leaves cores idle, but 8 MB at least."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-total // file_bytes), min(4 * rows.sparkSession.sparkContext.defaultParallelism, total >> 23))
+
+
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_bytes: int = 128 << 20) -> None:
+    """Write all ``docs`` (doc_id, text) under ``path`` in ascending order of doc_id.
+
+    Files are bounded by the input's bytes, and rows of one doc_id are dealt out by how their texts begin, so neither
+    a large corpus nor a common doc_id (or none) makes a file grow.
+    """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(files, "doc_id") if files else rows.repartitionByRange("doc_id")
+    dealt = rows.repartitionByRange(file_count(rows, file_bytes), F.col("doc_id"), F.substring("text", 1, 32))
     end = int(end_id).to_bytes(4, "little")
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +117,8 @@ def write_index(spark: SparkSession, path: str, index_path: str) -> DataFrame:
     """Scan the files once, keep the index as Parquet, and return it with ``start``: ids of all documents before."""
     scan_records(spark, path).write.mode("overwrite").parquet(index_path)
     index = spark.read.schema(INDEX).parquet(index_path)
-    # One row a file: file names ascend with doc_id.
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a file. Files are numbered in the order of doc_id; the numbers, not the names, are in order.
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long")
+    before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     bases = index.groupBy("file").agg(F.sum("n_tokens").alias("_n")).select("file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     return index.join(bases, "file").select("file", "doc_id", "offset", "length", "n_tokens", (F.col("_base") + F.col("before")).alias("start"), "ids_crc32")

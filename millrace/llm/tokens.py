@@ -90,12 +90,41 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         # A tokenizer that lower-cases and drops white space sees the same in all spellings of a chunk.
         self.folds = "Lowercase" in str(self.tokenizer.normalizer) and "behavior=Removed" in str(self.tokenizer.pre_tokenizer)
+        # Between separators a chunk encodes alike: white space parts words, and the mark's id is in no chunk that is joined.
+        self.between = " | " if self.folds else "\n"
+        sure = self.folds or str(self.tokenizer.pre_tokenizer) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)" and self.tokenizer.normalizer is None
+        mark = self.tokenizer.encode(f"a{self.between}b", add_special_tokens=False).ids
+        self.mark = mark[1] if sure and len(mark) == 3 else None
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.limit = limit
 
+    def _joins(self, chunk: str) -> bool:
+        """Whether ``chunk`` encodes alike between separators."""
+        if self.folds:
+            return "|" not in chunk
+        word = chunk.split()
+        return len(word) == 1 and (len(word[0]) == len(chunk) or chunk[0] == " " and len(word[0]) == len(chunk) - 1)
+
     def _learn(self, chunks: list[bytes]) -> list[bytes]:
-        e = self.tokenizer.encode([c.decode() for c in chunks], is_pretokenized=True, add_special_tokens=False)
+        """The ids of ``chunks``: as one text with separators, whose id parts them, where that is sure, and as a list elsewhere."""
+        texts = [c.decode() for c in chunks]
+        joins = [self.mark is not None and self._joins(t) for t in texts]
+        together = [t for t, j in zip(texts, joins) if j]
+        if together:
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(together)], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = np.flatnonzero(ids == self.mark)
+            if len(at) == len(together) - 1:
+                raw = ids.tobytes()
+                first = iter([raw[4 * a : 4 * b] for a, b in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)])])
+                if len(together) == len(texts):
+                    return list(first)
+                rest = iter(self._learn_list([t for t, j in zip(texts, joins) if not j]))
+                return [next(first if j else rest) for j in joins]
+        return self._learn_list(texts)
+
+    def _learn_list(self, chunks: list[str]) -> list[bytes]:
+        e = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(e.ids, dtype="<u4").tobytes()
         at = (4 * np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(chunks) + 1))).tolist()
         return [ids[a:b] for a, b in zip(at, at[1:])]
@@ -121,7 +150,8 @@ class CachedEncoder:
             if new:
                 for k, ids in zip(new, self._learn([chunks[k] for k in new])):
                     found[k] = ids
-            self.known.update((chunks[k], found[k]) for k in missed if len(chunks[k]) <= 64)
+            keep = [k for k in missed if len(chunks[k]) <= 64]
+            self.known.update(zip([chunks[k] for k in keep], [found[k] for k in keep]))
             if len(self.known) > self.limit // 2:
                 self.older, self.known = self.known, {}
         return found
@@ -144,7 +174,9 @@ class CachedEncoder:
         for lo in range(0, len(cuts) - 1, CHUNKS):
             bounds = cuts[lo : lo + CHUNKS + 1]
             coded = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), values]).dictionary_encode()
-            ids = self._lookup(coded.dictionary.to_pylist())
+            _, offsets, distinct = coded.dictionary.buffers()
+            at, distinct = np.frombuffer(offsets, np.int64)[: len(coded.dictionary) + 1].tolist(), distinct.to_pybytes()
+            ids = self._lookup([distinct[a:b] for a, b in zip(at, at[1:])])
             size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
             which = coded.indices.to_numpy()
             n = size[which]
