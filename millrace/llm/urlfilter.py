@@ -8,10 +8,12 @@ universe walks down to the first level that lacks it, and that level's parity
 says, exactly, whether the key is listed. Bits are made by aggregates over the
 universe and tested by column expressions, so no row is joined with the list.
 
-Levels are literals of a size bounded by the list: ``max_bits`` is checked, and
-a list beyond it is joined by shuffles instead. A null url, or one without
-``://``, has an empty host and path and is allowed. Repeated urls are judged
-alike; an empty table gives an empty result.
+Levels are literals of a plan, of a size bounded by the list: where they would
+exceed ``max_bits``, keys are split by their hash into parts with a cascade each,
+which are applied one after another, each in a plan of its own. A null url, or
+one without ``://``, has an empty host and path and is allowed. Repeated urls are
+judged alike, whatever their length; other columns are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -65,41 +67,49 @@ def suffixes(host: Column) -> Column:
 
 @dataclass(frozen=True)
 class Level:
-    """One Bloom filter: 32-bit words as a column literal."""
+    """One Bloom filter."""
 
     bits: int
     hashes: int
     seed: int
-    words: tuple[int, ...]
+    words: tuple[int, ...]  # of 32 bits
 
     def has(self, key: Column) -> Column:
-        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to one constant
-        test = F.lit(True)
-        for at in positions(key, self.bits, self.hashes, self.seed):
-            test = test & (F.get(words, F.shiftright(at, 5).cast("int")).bitwiseAND(bit_of(at)) != 0)
-        return test
+        return let(tables([self])[0], lambda words: has(words, self, key))
 
 
-def positions(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(seed * 64 + k)), F.lit(bits)) for k in range(hashes)]
+def positions(key: Column, level: Level) -> Column:
+    """Where the key's bits are: one hash gives two numbers, whose combinations are the positions."""
+    pair = lambda h: F.transform(
+        F.sequence(F.lit(0), F.lit(level.hashes - 1)), lambda k: F.pmod(h.bitwiseAND(0x7FFFFFFF) + k * F.shiftrightunsigned(h, 33).bitwiseOR(F.lit(1)), F.lit(level.bits))
+    )
+    return let(F.xxhash64(key, F.lit(level.seed)), pair)
 
 
 def bit_of(at: Column) -> Column:
     return F.element_at(F.array(*(F.lit(1 << b) for b in range(32))).cast("array<bigint>"), at.bitwiseAND(31).cast("int") + 1)
 
 
+def tables(levels: list[Level]) -> Column:
+    """All levels' words, as one constant to be bound once a row."""
+    return F.array(*(F.split(F.lit(",".join(map(str, x.words))), ",").cast("array<bigint>") for x in levels))
+
+
+def has(words: Column, level: Level, key: Column) -> Column:
+    return F.forall(positions(key, level), lambda at: F.get(words, F.shiftright(at, 5).cast("int")).bitwiseAND(bit_of(at)) != 0)
+
+
 def build_level(keys: DataFrame, count: int, rate: float, seed: int) -> Level:
     """The Bloom filter of ``keys`` (key) at about ``rate`` false positives; only its words reach the driver."""
     bits = max(64, 32 * math.ceil(count * -math.log(rate) / math.log(2) ** 2 / 32))
-    hashes = max(1, round(bits / count * math.log(2))) if count else 1
-    hashes = min(hashes, 16)
-    at = keys.select(F.explode(F.array(*positions(F.col("key"), bits, hashes, seed))).alias("at"))
-    words = at.groupBy(F.shiftright("at", 5).alias("w")).agg(F.bit_or(bit_of(F.col("at"))).alias("v")).collect()
-    table = {r["w"]: r["v"] for r in words}
-    return Level(bits, hashes, seed, tuple(table.get(i, 0) for i in range(bits // 32)))
+    empty = Level(bits, max(1, min(16, round(bits / max(count, 1) * math.log(2)))), seed, ())
+    at = keys.select(F.explode(positions(F.col("key"), empty)).alias("at"))
+    found = at.groupBy(F.shiftright("at", 5).alias("w")).agg(F.bit_or(bit_of(F.col("at"))).alias("v")).toArrow()
+    words = dict(zip(found.column("w").to_pylist(), found.column("v").to_pylist()))
+    return Level(bits, empty.hashes, seed, tuple(words.get(i, 0) for i in range(bits // 32)))
 
 
-def build_cascade(universe: DataFrame, max_levels: int = 40) -> list[Level]:
+def build_cascade(universe: DataFrame, max_levels: int = 64) -> list[Level]:
     """Levels over ``universe`` (key, listed), which is kept and read once a level."""
     sizes = {r["listed"]: r["n"] for r in universe.groupBy("listed").agg(F.count(F.lit(1)).alias("n")).collect()}
     inside, outside = sizes.get(True, 0), sizes.get(False, 0)
@@ -118,12 +128,22 @@ def build_cascade(universe: DataFrame, max_levels: int = 40) -> list[Level]:
     return levels
 
 
+def any_listed(keys: Column, levels: list[Level]) -> Column:
+    """Whether one of ``keys`` is listed, exact for keys of the universe: the parity of the first level that lacks a key tells."""
+    if not levels:
+        return F.lit(False)
+
+    def listed(key: Column, words: Column) -> Column:
+        answer = F.lit(len(levels) % 2 == 1)
+        for i in reversed(range(len(levels))):
+            answer = F.when(~has(F.get(words, F.lit(i)), levels[i], key), F.lit(i % 2 == 1)).otherwise(answer)
+        return answer
+
+    return let(tables(levels), lambda words: F.exists(keys, lambda k: listed(k, words)))
+
+
 def listed_by(key: Column, levels: list[Level]) -> Column:
-    """Exact for every key of the universe: the parity of the first level that lacks it."""
-    answer = F.lit(len(levels) % 2 == 1)
-    for i in reversed(range(len(levels))):
-        answer = F.when(~levels[i].has(key), F.lit(i % 2 == 1)).otherwise(answer)
-    return answer
+    return any_listed(F.array(key), levels)
 
 
 def key_universe(hosts: DataFrame, listed: DataFrame) -> DataFrame:
@@ -132,6 +152,10 @@ def key_universe(hosts: DataFrame, listed: DataFrame) -> DataFrame:
     return keys.join(listed.distinct().withColumn("_in", F.lit(True)), "key", "left").select("key", F.col("_in").isNotNull().alias("listed"))
 
 
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(0)), F.lit(parts))
+
+
 def judge_urls(pages: DataFrame, rules=RULES, listed=LISTED, max_bits: int = 1 << 26) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of ``pages`` (page_id, url)."""
     spark: SparkSession = pages.sparkSession
@@ -139,12 +163,17 @@ def judge_urls(pages: DataFrame, rules=RULES, listed=LISTED, max_bits: int = 1 <
     list_df = listed if isinstance(listed, DataFrame) else spark.createDataFrame([(h,) for h in listed], "key string")
     universe = durable(key_universe(rows.select("host"), list_df))
     n = universe.filter("listed").count()
-    if 2 * n * math.log2(max(universe.count() / max(n, 1), 2)) <= max_bits:
-        levels = build_cascade(universe)
-        blocked = F.exists(suffixes(F.col("host")), lambda k: listed_by(k, levels)) if levels else F.lit(False)
-        rows = rows.withColumn("_blocked", blocked)
-    else:
-        bad = rows.select("host").distinct().withColumn("key", F.explode(suffixes(F.col("host")))).join(universe.filter("listed"), "key", "left_semi").select("host").distinct()
-        rows = rows.join(bad.withColumn("_blocked", F.lit(True)), "host", "left").withColumn("_blocked", F.coalesce("_blocked", F.lit(False)))
-    rows = rows.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
-    return rows.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", F.when(F.col("_blocked"), "block").otherwise("allow")).alias("verdict"))
+    bits = 4 * n + 1.5 * n * math.log2(max(universe.count() / max(n, 1), 2))  # of all levels
+    parts = max(1, math.ceil(bits / max(max_bits, 4096)))
+    rows = rows.withColumn("blocked", F.lit(False))
+    for part in range(parts):
+        mine = universe if parts == 1 else durable(universe.filter(part_of(F.col("key"), parts) == part))
+        levels = build_cascade(mine)
+        keys = suffixes(F.col("host"))
+        if parts > 1:
+            keys = F.filter(keys, lambda k: part_of(k, parts) == part)  # noqa: B023
+        rows = rows.withColumn("blocked", F.col("blocked") | any_listed(keys, levels))
+        if part + 1 < parts:
+            rows = durable(rows)
+    rows = rows.withColumn("fits", rule_for(F.col("host"), F.col("path"), rules))
+    return rows.select("page_id", "host", "path", F.col("fits.rule").alias("rule"), F.coalesce("fits.verdict", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"))
