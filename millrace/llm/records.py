@@ -70,12 +70,11 @@ def frames(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
 
 
 def file_count(rows: DataFrame, file_bytes: int) -> int:
-    """So many files that each holds about ``file_bytes`` of text; smaller ones where that leaves cores idle, but 8 MB at least."""
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, -(-total // file_bytes), min(4 * rows.sparkSession.sparkContext.defaultParallelism, total >> 23))
+    """So many files that each holds about ``file_bytes`` of text."""
+    return max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // file_bytes))
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_bytes: int = 128 << 20) -> None:
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_bytes: int = 64 << 20) -> None:
     """Write all ``docs`` (doc_id, text) under ``path`` in ascending order of doc_id.
 
     Files are bounded by the input's bytes, and rows of one doc_id are dealt out by how their texts begin, so neither
