@@ -52,16 +52,16 @@ def frame(doc_id: int | None, ids: bytes) -> bytes:
     return b"".join((size, struct.pack("<I", masked(size)), payload, struct.pack("<I", masked(payload))))
 
 
-def frames(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
+def frames(data: bytes | pa.Buffer) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
     """(offset, length, doc_id, ids) of every record; a damaged one is an error."""
     at, view = 0, memoryview(data)
-    while at < len(data):
-        (size,) = struct.unpack_from("<Q", data, at)
-        (check,) = struct.unpack_from("<I", data, at + 8)
+    while at < len(view):
+        (size,) = struct.unpack_from("<Q", view, at)
+        (check,) = struct.unpack_from("<I", view, at + 8)
         if check != masked(view[at : at + 8]):
             raise ValueError(f"damaged length at byte {at}")
         payload = view[at + 12 : at + 12 + size]
-        (check,) = struct.unpack_from("<I", data, at + 12 + size)
+        (check,) = struct.unpack_from("<I", view, at + 12 + size)
         if check != masked(payload):
             raise ValueError(f"damaged payload at byte {at}")
         known, doc_id, width = struct.unpack_from("<BqB", payload)
@@ -74,7 +74,7 @@ def file_count(rows: DataFrame, file_bytes: int) -> int:
     return max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // file_bytes))
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_bytes: int = 64 << 20) -> None:
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_bytes: int = 32 << 20) -> None:
     """Write all ``docs`` (doc_id, text) under ``path`` in ascending order of doc_id.
 
     Files are bounded by the input's bytes, and rows of one doc_id are dealt out by how their texts begin, so neither
@@ -102,7 +102,7 @@ def scan_records(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
                 out: list[list] = [[] for _ in range(7)]
                 total = 0
-                for offset, length, doc_id, ids in frames(content.as_py()):
+                for offset, length, doc_id, ids in frames(content.as_buffer()):
                     for column, value in zip(out, (name, doc_id, offset, length, len(ids), total, zlib.crc32(ids.tobytes()))):
                         column.append(value)
                     total += len(ids)
